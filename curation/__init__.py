@@ -1,0 +1 @@
+"""The found queries of TESTDATA.md, one module per group of operators."""

@@ -1,0 +1,26 @@
+"""p8: token ids of byte_bpe_50k."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import table
+
+LOADED: list = []
+
+
+def encode(text: str | None) -> list[int]:
+    if not text:
+        return []
+    import public_tokenizers
+    import tiktoken
+    if not LOADED:
+        import base64
+        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        LOADED.append(tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
+    return LOADED[0].encode_ordinary(text)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.udf(encode, "array<int>", useArrow=True)
+    return table(spark, sf_dir, "documents").select("doc_id", ids("text").alias("ids"))

@@ -1,0 +1,18 @@
+"""What the operators share: reading a table, normal text and words."""
+
+import re
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession
+
+INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+WORD = re.compile(r"[^\W_]+")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-case words after NFKC, without invisible characters."""
+    return WORD.findall(unicodedata.normalize("NFKC", INVISIBLE.sub("", text or "")).lower())

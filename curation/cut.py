@@ -1,0 +1,86 @@
+"""p2: model outputs that stop before their end."""
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import table
+
+MARK = re.compile(r"[\[(<](?:truncated|cut off|output truncated|max tokens)[\])>]\s*$", re.I)
+CLOSING = "\"'”’»«“)]}）】」』›*_`"
+ENDS = ".!?。！？…．｡।॥؟۔:;"
+ABBREVIATION = re.compile(r"(?:^|[\s(])(?:e\.g|i\.e|cf|vs|Fig|Figs|Eq|Sec|App|Dr|Prof|Mr|Mrs|Ms|No|Nr|Abb|Tab|Tabl|ref|approx|bzw|z\. ?B|d\. ?h|рис|табл|См|Mme|M|p\. ex|núm|fig|Sr|Sra)\.$")
+#: A remark so short may stand without a closing mark, unless it stops at a word that needs another.
+REMARK, OPEN_WORD = 36, re.compile(r"\b(?:a|an|the|and|or|of|to|in|on|for|with|by|at|from|is|are|it|its|that|which|we|they|about|as|be|no|not)$", re.I)
+
+
+def balance(t: str, at: int) -> tuple[int, bool]:
+    """Where the structure that opens at `at` ends, and whether it ends at all."""
+    depth, quote, i = 0, "", at
+    first = re.search(r"[\"']", t[at:])
+    quotes = "\"'" if first and first[0] == "'" else '"'
+    while i < len(t):
+        c = t[i]
+        if quote:
+            if c == "\\":
+                i += 1
+            elif c == quote:
+                quote = ""
+        elif c in quotes:
+            quote = c
+        elif c in "{[":
+            depth += 1
+        elif c in "}]":
+            depth -= 1
+            if depth == 0:
+                return i + 1, True
+        i += 1
+    return len(t), False
+
+
+def prose_open(t: str) -> bool:
+    """Whether prose stops inside a word or a sentence."""
+    t = t.rstrip()
+    if not t or re.search(r"[฀-๿]$", t):
+        return False
+    bare = t.rstrip(CLOSING)
+    return not bare or bare[-1] not in ENDS or bool(ABBREVIATION.search(bare))
+
+
+def cut(text: str | None) -> bool:
+    t = (text or "").strip()
+    if not t:
+        return False
+    if t[-1] == "�" or MARK.search(t):
+        return True
+    if t.endswith("...") and len(t) > REMARK:
+        return True
+    if t.count("```") % 2 or "<answer>" in t and "</answer>" not in t:
+        return True
+    if re.match(r"\w+: ", t) and re.search(r"^\w+: .*\n\w+: ", t, re.M) and "{" not in t.split("\n")[0]:
+        return not t.endswith("end of record")
+    tail, at, structure = t, 0, False
+    while m := re.search(r"\{|\[(?=[\s\"'{\]])", t[at:]):
+        structure = True
+        at, ended = balance(t, at + m.start())
+        if not ended:
+            return not re.search(r"[}\]]\W*$", t) or not re.search(r"limitation_mentioned[\"']?\s*:.*\}\W*$", t, re.S)
+        tail = t[at:]
+    tail = re.sub(r"```|</\w+>", " ", tail).strip()
+    if structure:
+        return bool(re.search(r"\w", tail)) and prose_open(tail)
+    if re.fullmatch(r"<?/?\w*>?|[\W_]*|N/A", t):
+        return False
+    if len(t) <= REMARK and not OPEN_WORD.search(t) and re.search(r"\s", t) and not re.match(r"(?:The paper|They mention|The authors|Its main|The method|It is not|No limitation)", t):
+        return False
+    return prose_open(t)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    was_cut = F.udf(cut, "boolean", useArrow=True)
+    parts = [
+        table(spark, sf_dir, tab).where(F.col(text).isNotNull() & was_cut(text)).select(F.lit(tab).alias("tab"), F.col(key).alias("rec_key"))
+        for tab, key, text in (("pred", "pred_id", "raw_text"), ("rejected", "rej_id", "raw"))
+    ]
+    return parts[0].unionByName(parts[1])

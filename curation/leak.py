@@ -1,0 +1,82 @@
+"""p9: passages of eval_items in documents."""
+
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import table, words
+
+RUN, NEAR, LEAST = 11, 0.75, 5
+
+
+def sentences(text: str) -> list[str]:
+    return [x for x in re.split(r"(?<=[.!?])\s+", " ".join(text.split())) if x]
+
+
+def lcs(a: list[str], b: list[str]) -> int:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        old = 0
+        for j, y in enumerate(b, 1):
+            old, row[j] = row[j], old + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+class Items:
+    """Runs of words and pairs of words of the items, without the opening line that several share."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        opens = Counter(s[0] for _, t in rows if len(s := sentences(t)) > 1)
+        self.runs, self.pairs, self.sents = defaultdict(set), defaultdict(set), []
+        for item, text in rows:
+            own = sentences(text)
+            if len(own) > 1 and opens[own[0]] > 1:
+                own = own[1:]
+            all_words = [w for s in own for w in words(s)]
+            for i in range(len(all_words) - RUN + 1):
+                self.runs[tuple(all_words[i : i + RUN])].add(item)
+            for s in own:
+                if len(w := words(s)) >= LEAST:
+                    k = len(self.sents)
+                    self.sents.append((item, w))
+                    for pair in zip(w, w[1:]):
+                        self.pairs[pair].add(k)
+
+    def held(self, text: str | None) -> list[int]:
+        """The items in the text as it stands, or with the words joined that a line's end divides."""
+        joined = re.sub(r"(?<=[^\W\d_])[-‐]\s*[\r\n]+\s*(?=[^\W\d_])", "", text or "")
+        return sorted(self.within(words(text)) | (self.within(words(joined)) if joined != text else set()))
+
+    def within(self, w: list[str]) -> set[int]:
+        found = {item for i in range(len(w) - RUN + 1) for item in self.runs.get(tuple(w[i : i + RUN]), ())}
+        at: dict[int, list[int]] = defaultdict(list)
+        for i, pair in enumerate(zip(w, w[1:])):
+            for k in self.pairs.get(pair, ()):
+                at[k].append(i)
+        for k, places in at.items():
+            item, s = self.sents[k]
+            if item in found or len(places) < 0.3 * len(s):
+                continue
+            span = len(s) + max(3, len(s) // 4)
+            if self.best(w, s, places, span) >= NEAR:
+                found.add(item)
+        return found
+
+    @staticmethod
+    def best(w: list[str], s: list[str], places: list[int], span: int) -> float:
+        """Share of the sentence's words that a stretch of the document holds in order."""
+        top = 0.0
+        for i, p in enumerate(places):
+            inside = [q for q in places[i:] if q < p + span]
+            if len(inside) >= 0.3 * len(s):
+                start = max(0, p - len(s) // 4 - 2)
+                top = max(top, lcs(s, w[start : p + span]) / len(s))
+        return top
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = Items([(r["item_id"], r["text"]) for r in table(spark, sf_dir, "eval_items").collect() if r["text"]])
+    held = F.udf(lambda text: items.held(text), "array<bigint>", useArrow=True)
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.explode(held("text")).alias("item_id"), "doc_id")

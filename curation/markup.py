@@ -1,0 +1,28 @@
+"""p3: titles and abstracts that carry markup."""
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import table
+
+PATTERNS = {
+    "html": r"<!--|</?[a-zA-Z][a-zA-Z0-9]*(?:[:\-][a-zA-Z0-9]+)*(?:\s[^<>]*)?/?>|&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,30});",
+    "markdown": r"\*\*(?=\S)[^*\n]+?(?<=\S)\*\*|(?<![\w_])__(?=\S)[^_\n]+?(?<=\S)__(?![\w_])|(?<![\w*])\*(?=[^\s*])[^*\n]*?(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])[^_\n]*?(?<=[^\s_])_(?![\w_])"
+    r"|`[^`\n]+`|```|~~\S[^~\n]*~~|!?\[[^\]\n]*\]\([^)\s]+[^)]*\)|^ {0,3}#{1,6} +\S|^\s{0,3}[-*+] +\S|^\s{0,3}\d{1,3}[.)] +\S|^ {0,3}> ?\S|^\s*\|?\s*:?-{3,}:?\s*\||^\[[^\]]+\]: \S",
+    "wiki": r"\[\[[^\]\n]+\]\]|\{\{[^{}\n]+\}\}|''[^'\n]+''|^={2,6} *[^=\n]+? *={2,6}\s*$|^\{\||^[*#:;]+ ?\S.*$(?<=\n)|\[https?://\S+ [^\]]+\]|^\* ",
+    "latex": r"\\[a-zA-Z]{2,}|\\[()\[\]]|\\[%&$#_{}'`\"^~]|\\\\|\$\$.+?\$\$|(?<![\\$\w])\$(?!\s)(?=[^$]*[a-zA-Z\\^_={}<>+])(?!\d[\d.,]*(?:\s|[MBKk]?\b[^$]*\s)[^$]*\$)[^$\n]+?(?<!\s)\$(?![\d\w])|``[^'\n]+''|\{[A-Za-z][A-Za-z0-9\-]*\}|~\\",
+}
+ANY = re.compile("|".join(f"(?:{p})" for p in PATTERNS.values()), re.M)
+
+
+def marked(text: str | None) -> bool:
+    return bool(text) and bool(ANY.search(text))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has = F.udf(marked, "boolean", useArrow=True)
+    d = table(spark, sf_dir, "distilled")
+    parts = [d.where(F.col(c).isNotNull() & has(c)).select("rec_id", F.lit(c).alias("field")) for c in ("title", "abstract")]
+    return parts[0].unionByName(parts[1])

@@ -1,0 +1,187 @@
+"""p6 and p4: entries of ref_items behind free spellings, and units of reported values."""
+
+import math
+import re
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import INVISIBLE, table
+
+LOOKALIKE = str.maketrans("аеорсухіјѕԁѵкмтнвАЕОРСУХІЈЅКМТНВαορνικτ", "aeopcyxijsdvkmthbaeopcyxijskmthbaopviKt".lower())
+BRACKETS = re.compile(r"\s*[\(\[][^()\[\]]*[\)\]]\s*$")
+TAIL = re.compile(
+    r"(?:[\s_,:;.\-–]+(?:test|dev|val|validation|train|training|full|avg|average|mean|final|set|split|subset|benchmark|dataset|suite|score|overall|ms|s|"
+    r"(?:zero|one|two|three|four|five|few|\d+)[\s-]?shots?|pct|bn|percent|days|hours|0\.\.1)|[\s_.:;,↑↓*†‡]+|\s+in\s+\w+|\s+per\s+(?:minute|hour|second)(?:,\s*tokens)?)$"
+)
+HEAD = re.compile(r"^(?:the|test|dev|val|validation|train|mean|avg\.?|average|final|overall|best)[\s_-]+")
+
+
+def folded(text: str) -> str:
+    text = unicodedata.normalize("NFKD", INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
+    return " ".join("".join(c for c in text if not unicodedata.combining(c)).lower().translate(LOOKALIKE).split())
+
+
+def key(text: str) -> str:
+    return "".join(c for c in text if c.isalnum() or c == "#")
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Letters put in, left out, replaced or swapped with the next one; most + 1 if there are more than most."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], last[j - 2] + 1)
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+class Register:
+    """The entries of one kind; find() keeps what it has resolved."""
+
+    def __init__(self, rows: list):
+        self.keys, self.seen = {}, {}
+        for r in rows:
+            for x in [r["canonical"], *(r["aliases"] or [])]:
+                if x:
+                    self.keys[key(folded(x))] = r["ref_id"]
+        for r in rows:  # a version may stand without its v and .0
+            if short := re.sub(r"v(\d+)\.0$", r"\1", folded(r["canonical"])):
+                self.keys.setdefault(key(short), r["ref_id"])
+        self.digits = {k: re.sub(r"\D", "", k) for k in self.keys}
+
+    def forms(self, text: str) -> list[str]:
+        out, todo = [], [folded(text)]
+        while todo and len(out) < 60:
+            x = todo.pop(0).strip()
+            if not x or x in out:
+                continue
+            out.append(x)
+            todo += [p.sub("", x) for p in (BRACKETS, TAIL, HEAD)]
+            if x.count(",") == 1:
+                a, b = x.split(",")
+                todo.append(f"{b.strip()} {a}")
+        return out
+
+    def find(self, text: str) -> int:
+        if (got := self.seen.get(text)) is None:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+            got = self.seen[text] = self.search(text)
+        return got
+
+    def search(self, text: str) -> int:
+        keys = [k for x in self.forms(text) if (k := key(x))]
+        for k in keys:
+            if k in self.keys:
+                return self.keys[k]
+        near: dict[int, int] = {}
+        for k in keys:
+            if len(k) >= 5:
+                d, most = re.sub(r"\D", "", k), 1 if len(k) < 7 else 2 if len(k) < 14 else 3
+                for x, ref in self.keys.items():
+                    if len(x) >= 5 and self.digits[x] == d and (n := edits(k, x, most)) <= most:
+                        near[ref] = min(n, near.get(ref, n))
+        best = [ref for ref, n in near.items() if n == min(near.values())]
+        return best[0] if len(best) == 1 else 0
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = [r.asDict() for r in table(spark, sf_dir, "ref_items").collect()]
+    parts = []
+    for kind in ("name", "metric"):
+        own = Register([r for r in ref if r["kind"] == kind])
+        find = F.udf(lambda x, own=own: own.find(x), "bigint", useArrow=True)
+        canonical = [r["canonical"] for r in ref if r["kind"] == kind]
+        rows = table(spark, sf_dir, "bench_triples").select("triple_id", F.col(kind).alias("value"))
+        rows = rows.where(F.col("value").rlike("[^\\s\u0085\u00a0\u1680\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]") & ~F.col("value").isin(canonical))
+        parts.append(rows.select(find("value").alias("ref_id"), "triple_id", F.lit(kind).alias("field")))
+    return parts[0].unionByName(parts[1])
+
+
+#: Of each family, its units in the order in which they are looked for; the first of each is the common one where `common` says so.
+UNITS = {
+    "score": [("per mille", r"‰|per ?mill?e|permille"), ("bp", r"\bbps?\b|basis points?"), ("fraction", r"fraction|proportion|\bof 1\b|0 ?(?:-|–|\.\.|to) ?1\b|unit interval"), ("%", r"%|percent|\bpct\b")],
+    "latency": [("us", r"\bus\b|μs|microsec"), ("ms", r"\bms\b|msec|millisec"), ("min", r"\d+ ?:|\bmins?\b|minute|\dm\d"), ("h", r"\bh\b|\bhrs?\b|hour"), ("s", r"\bs\b|\bsecs?\b|second")],
+    "throughput": [
+        ("tokens/h", r"(?:/ ?|per |an |each |every )(?:h\b|hr|hour)"), ("tokens/min", r"(?:/ ?|per |a |each |every )min"), ("mtokens/s", r"\bm ?tok|million"),
+        ("ktokens/s", r"\bk ?tok|thousand"), ("tokens/s", r"tok|tps|/ ?s|per sec"),
+    ],
+    "memory": [("GiB", r"\bgib\b|gibi"), ("MiB", r"\bmib\b|mebi"), ("KiB", r"\bkib\b|kibi"), ("TB", r"\btb\b|terab"), ("GB", r"\bgb?\b|gigab"), ("MB", r"\bmb?\b|megab"), ("KB", r"\bkb\b|kilob")],
+    "size": [("trillion", r"\bt\b|trillion"), ("billion parameters", r"\bbn?\b|billion"), ("million parameters", r"\bm\b|million"), ("thousand", r"\bk\b|thousand"), ("count", r"param|weight|count|absolute")],
+    "energy": [("MWh", r"\bmwh\b|megawatt"), ("kWh", r"\bkwh\b|kilowatt"), ("MJ", r"\bmj\b|megajoule"), ("kJ", r"\bkj\b|kilojoule"), ("GJ", r"\bgj\b|gigajoule"), ("Wh", r"\bwh\b|watt"), ("J", r"\bj\b|joule")],
+    "duration": [("d", r"\bd\b|\bdays?\b"), ("min", r"\d+ ?:|\bmins?\b|minute|\dm\d"), ("h", r"\bh\b|\bhrs?\b|hour"), ("s", r"\bs\b|\bsecs?\b|second")],
+    "context": [("million tokens", r"\bm\b|million"), ("thousand tokens", r"\bk\b|thousand"), ("tokens", r"tok")],
+}
+UNITS = {family: [(unit, re.compile(p)) for unit, p in units] for family, units in UNITS.items()}
+NUMBER = re.compile(r"^(?:[~≈<>≤≥=±]|approx\.?|about|ca\.?|circa|around|roughly|over|under)*\s*([+\-−]?(?:\d[\d.,]*|\.\d+)(?:e[+\-]?\d+)?)", re.I)
+SPREAD = re.compile(r"^\s*(?:±|\+/-)\s*[\d.,]+(?:e[+\-]?\d+)?", re.I)
+
+
+def unit_in(family: str, text: str | None) -> str | None:
+    """The unit that a text names, if any."""
+    text = unicodedata.normalize("NFKC", text or "").lower().replace("_", " ")
+    return next((unit for unit, p in UNITS.get(family, ()) if p.search(text)), None)
+
+
+def source_unit(family: str, unit: str | None, note: str | None) -> str | None:
+    if unit:
+        return unit_in(family, unit)
+    return unit_in(family, re.split(r"rather than|instead of|\bnot\b|unless", note or "")[0])
+
+
+def metric_unit(family: str, metric: str) -> str | None:
+    m = unicodedata.normalize("NFKC", metric)
+    said = re.findall(r"[\(\[]([^()\[\]]*)[\)\]]|,\s*(.*)$|\s+in\s+(.*)$|(\bper (?:minute|hour|second)\b.*)$|_(ms|us|s|min|h|gb|mb|kwh|pct)\W*$", m, re.I)
+    return unit_in(family, " ".join(x for found in said for x in found if x))
+
+
+def number(text: str) -> tuple[float | None, str]:
+    """The number at the start of a value, and the text after it and its spread."""
+    text = " ".join(unicodedata.normalize("NFKC", text).split())
+    if not (m := NUMBER.match(text)):
+        return None, ""
+    digits = m[1].replace("−", "-").rstrip(".,")
+    digits = digits.replace(",", "") if re.fullmatch(r"[+\-]?\d{1,3}(,\d{3})+(\.\d+)?(e[+\-]?\d+)?", digits, re.I) else digits.replace(",", ".")
+    try:
+        value = float(digits)
+    except ValueError:
+        return None, ""
+    rest = text[m.end() :]
+    return value, SPREAD.sub("", rest)
+
+
+def restated(family: str, common: str, metric: str, value_num: float | None, value_str: str | None, by_source: str | None) -> bool:
+    """Whether the value stands in another unit than the common one."""
+    if value_str is not None:
+        value, rest = number(value_str)
+    else:
+        value, rest = value_num, ""
+    if value is None or not math.isfinite(value):
+        return False
+    if family in ("latency", "duration") and re.match(r"\s*:\s*\d|\s*(?:h|m|mins?|minutes?|d|days?)\s*\d", rest, re.I):
+        return True  # minutes and seconds, or hours and minutes
+    unit = unit_in(family, rest) or metric_unit(family, metric) or by_source
+    if unit is None and family == "score" and value <= 1:
+        unit = "fraction"
+    return unit is not None and unit != unit_in(family, common)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = [r.asDict() for r in table(spark, sf_dir, "ref_items").collect() if r["kind"] == "metric"]
+    own, of = Register(ref), {r["ref_id"]: (r["family"], r["common_unit"]) for r in ref}
+    units = {(r["source"], r["family"]): source_unit(r["family"], r["unit"], r["note"]) for r in table(spark, sf_dir, "source_units").collect()}
+
+    def case(metric, value_num, value_str, source):
+        family, common = of.get(own.find(metric), (None, None))
+        return bool(common) and restated(family, common, metric, value_num, value_str, units.get((source, family)))
+
+    t = table(spark, sf_dir, "bench_triples").where("metric IS NOT NULL AND (value_num IS NOT NULL OR value_str IS NOT NULL)")
+    return t.where(F.udf(case, "boolean", useArrow=True)("metric", "value_num", "value_str", "source")).select("triple_id")

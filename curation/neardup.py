@@ -1,0 +1,52 @@
+"""p5: papers of holdout that distilled holds as well."""
+
+import html
+import re
+import zlib
+from collections import Counter
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import table, words
+
+#: Share of the longer text's words that must agree; words in a shingle; how many of a text's shingles are looked up and how many of them a pair must share to be compared.
+AGREE, SHINGLE, LOOKED_UP, FOUND, LEAST = 0.7, 4, 24, 3, 8
+ABSTRACT = re.compile(r"abstract\W{0,4}[:\-–—\n]\s*", re.I)
+MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|\{\{.*?\}\}|https?://\S+|\\[a-zA-Z]+", re.S)
+
+
+def plain(text: str | None) -> list[str]:
+    return words(MARKUP.sub(" ", html.unescape(text or "")))
+
+
+def of_user(content: str | None) -> list[str]:
+    """Words of the abstract in a user message: what follows its label, else all."""
+    parts = ABSTRACT.split(content or "", maxsplit=1)
+    return plain(parts[-1])
+
+
+def shingles(w: list[str]) -> list[int]:
+    return sorted({zlib.crc32(a.encode()) << 31 ^ zlib.adler32(a.encode()) for i in range(max(1, len(w) - SHINGLE + 1)) if (a := " ".join(w[i : i + SHINGLE]))})
+
+
+def agree(a: list[str], b: list[str]) -> bool:
+    return sum((Counter(a) & Counter(b)).values()) >= AGREE * max(len(a), len(b))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.filter("messages", lambda m: (F.lower(F.trim(m["role"])) == "user") & (F.trim(m["content"]) != ""))
+    texts = F.udf(of_user, "array<string>", useArrow=True), F.udf(plain, "array<string>", useArrow=True)
+    h = table(spark, sf_dir, "holdout").select(F.col("rec_id").alias("h"), texts[0](F.try_element_at(user, F.lit(-1))["content"]).alias("hw")).where(F.size("hw") >= LEAST)
+    d = table(spark, sf_dir, "distilled").where("abstract IS NOT NULL").select(F.col("rec_id").alias("d"), texts[1]("abstract").alias("dw")).where(F.size("dw") >= LEAST)
+    of = F.udf(shingles, "array<bigint>", useArrow=True)
+    hs = h.select("h", F.explode(of("hw")).alias("s"))
+    ds = d.select("d", F.explode(of("dw")).alias("s"))
+    # A shingle that an edit made is in no distilled text; those left of a text that agrees are the rarest of the others, whatever the template around them.
+    often = ds.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = hs.join(often, "s").withColumn("rank", F.expr("row_number() OVER (PARTITION BY h ORDER BY df, s)")).withColumn("n", F.expr("count(*) OVER (PARTITION BY h)"))
+    rare = ranked.where(F.col("rank") <= LOOKED_UP).select("h", "n", "s")
+    pairs = rare.join(ds, "s").groupBy("h", "d").agg(F.count("*").alias("found"), F.first("n").alias("n"))
+    pairs = pairs.where(F.col("found") >= F.least(F.lit(FOUND), "n")).select("h", "d")
+    same = F.udf(agree, "boolean", useArrow=True)
+    return pairs.join(h, "h").join(d, "d").where(same("hw", "dw")).select(F.least("h", "d").alias("rec_id_a"), F.greatest("h", "d").alias("rec_id_b"))

@@ -1,0 +1,53 @@
+"""p1: children of the nested lists of distilled and raw_records."""
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import table
+
+
+def inner(value):
+    """A JSON text inside a string counts as what it holds; any other string stays."""
+    while isinstance(value, str) and value.strip()[:1] in ("{", "[", '"') or isinstance(value, str) and value.strip() == "null":
+        try:
+            value = json.loads(value)
+        except ValueError:
+            break
+    return value
+
+
+def children(value) -> list:
+    value = inner(value)
+    return value if isinstance(value, list) else [] if value is None else [value]
+
+
+def raw_paths(payload: str | None) -> list[str]:
+    try:
+        record = inner(json.loads(payload)) if payload else None
+    except (ValueError, RecursionError):
+        return []
+    if not isinstance(record, dict):
+        return []
+    extraction, paths = inner(record.get("extraction")), []
+    if isinstance(extraction, dict):
+        for i, bench in enumerate(children(extraction.get("benchmarks"))):
+            if (bench := inner(bench)) is None:
+                continue
+            paths.append(f"benchmarks[{i}]")
+            if isinstance(bench, dict):
+                paths += [f"benchmarks[{i}].results[{j}]" for j, x in enumerate(children(bench.get("results"))) if inner(x) is not None]
+    return paths + [f"grounding_flags[{i}]" for i, x in enumerate(children(record.get("grounding_flags"))) if inner(x) is not None]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "distilled")
+    parts = [
+        d.select(F.lit("distilled").alias("tab"), F.col("rec_id").alias("parent_key"), F.posexplode(c).alias("pos", "child"))
+        .where("child IS NOT NULL").select("tab", "parent_key", F.format_string(f"{p}[%d]", "pos").alias("path"))
+        for c, p in (("extraction.benchmarks", "benchmarks"), ("grounding_flags", "grounding_flags"))
+    ]
+    paths = F.udf(raw_paths, "array<string>", useArrow=True)
+    raw = table(spark, sf_dir, "raw_records").select(F.lit("raw_records").alias("tab"), F.col("raw_id").alias("parent_key"), F.explode(paths("payload")).alias("path"))
+    return parts[0].unionByName(parts[1]).unionByName(raw)

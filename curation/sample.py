@@ -1,0 +1,31 @@
+"""p7: strata of the stratified sample that fall short of target_shares."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+from curation.core import table
+
+#: Runs in Spark and DuckDB alike.
+SQL = r"""
+WITH latest AS (
+  SELECT categories, numeric_signal FROM (
+    SELECT categories, numeric_signal, row_number() OVER (PARTITION BY id ORDER BY ingest_seq DESC) AS rn FROM papers_pool
+  ) AS ranked WHERE rn = 1 AND numeric_signal IS NOT NULL
+), firsts AS (
+  SELECT lower(regexp_extract(categories, '[^ \t\r\n,;]+', 0)) AS cat, CASE WHEN numeric_signal THEN 1 ELSE 0 END AS numeric_flag FROM latest
+), kept AS (
+  SELECT cat, numeric_flag, count(*) AS papers FROM firsts
+  WHERE cat IN (SELECT lower(category) FROM target_shares) GROUP BY cat, numeric_flag
+), total AS (
+  SELECT CAST(floor(coalesce(sum(papers), 0) / 4) AS BIGINT) AS n FROM kept
+)
+SELECT t.category, t.numeric_flag
+FROM target_shares AS t CROSS JOIN total LEFT JOIN kept AS k ON k.cat = lower(t.category) AND k.numeric_flag = t.numeric_flag
+WHERE coalesce(k.papers, 0) < greatest(CAST(t.min_rows AS BIGINT), CAST(floor((total.n * t.share_pm + 500) / 1000) AS BIGINT))
+"""
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(
+        SQL.replace("FROM papers_pool", "FROM {pool}").replace("FROM target_shares", "FROM {shares}").replace(r"\t\r\n", r"\\t\\r\\n"),
+        pool=table(spark, sf_dir, "papers_pool"), shares=table(spark, sf_dir, "target_shares"),
+    )

@@ -1,0 +1,157 @@
+"""p10: ends of the sentences of documents."""
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from curation.core import INVISIBLE, table
+
+BREAK = re.compile(r"\r\n|[\n\r\x85  \x0b\x0c]")
+BULLET = re.compile(r"\s*(?:[-*•‣◦▪·–—+]|\(?[a-z]\))\s+(?=\S)")
+NUMBERED = re.compile(r"\s*\(?(\d{1,3})[.)]\s+(?=\S)")
+HEADING = re.compile(r"\s*#{1,6}\s+\S")
+STRONG, SOFT, WIDE = "。！？｡．", ".!?…؟۔", "।॥"
+OPEN, PAIRS = "“„«‹「『‘(（[【《", {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》"}
+CLOSERS = set("\"'”’“»›」』)）]】》")
+THAI = re.compile(r"[฀-๿]")
+CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+#: Need what follows them, whatever its case.
+BEFORE = set(
+    "fig figs eq eqs sec secs app ref refs dr prof mr mrs ms st no nos nr vs cf e.g i.e std dev approx ca vol pp ch tab "
+    "abb kap bzw ggf vgl tsd mio mrd inkl art hr fr mme mlle p.ex pág núm sr sra srta dra fig. ej aprox env éd sect chap см рис табл гл им проф акад тел ст напр डॉ श्री د".split()
+)
+#: A number with a point that is an ordinal, as German writes it.
+ORDINAL = re.compile(r"(?:^|\s)(?:im|am|der|die|das|den|dem|des|zum|zur|vom|beim|ab|bis|seit)\s+\d{1,3}$", re.I)
+
+
+def units(text: str):
+    """Paragraphs, headings and list items as (start, end, whether it is a heading), the list marker left out."""
+    at, lines = 0, []
+    for m in BREAK.finditer(text):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, len(text)))
+    begin, end, listed, number = None, 0, False, None
+    for a, b in lines:
+        line = text[a:b]
+        if not INVISIBLE.sub("", line).strip():
+            if begin is not None:
+                yield begin, end, False
+            begin, listed, number = None, False, None
+            continue
+        n = NUMBERED.match(line)
+        item = BULLET.match(line) or (n if n and (begin is None or number is not None and int(n[1]) == number + 1) else None)
+        head = HEADING.match(line)
+        if item or head:
+            if begin is not None:
+                yield begin, end, False
+            begin, end, listed = a + (item.end() if item else 0), b, bool(item)
+            number = int(n[1]) if item is n and n else None
+            if head:
+                yield begin, end, True
+                begin = None
+            continue
+        begin, end = a if begin is None else begin, b
+    if begin is not None:
+        yield begin, end, False
+
+
+def goes_on(text: str, stop: int, nxt: int, mark: str, end: int) -> bool:
+    """Whether the sentence goes on after the mark at `stop`; `nxt` is where the next word starts."""
+    word = re.match(r"[\"'“„«‹「『(\[¿¡‘]*([^\W\d_]*[^\s]*)", text[nxt:end])
+    first = re.search(r"[^\W_]", word[0]) if word else None
+    low = bool(first and first[0].islower() and not re.search(r"[^\W\d_][A-ZА-Я]", word[0][first.start() : first.start() + 3]))
+    if low:
+        return True
+    if mark != ".":
+        return False
+    before = INVISIBLE.sub("", text[max(0, stop - 25) : stop])
+    token = re.search(r"[^\s(\[\"“„«¿¡]*$", before)[0]
+    if token == "EE" and text[nxt:].startswith("UU"):
+        return True
+    bare = token.lower().rstrip(".")
+    if bare in BEFORE or re.fullmatch(r"[^\W\d_]", token) and not re.search(r"[぀-鿿가-힯]", token):
+        return True
+    if re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]", token) and token.lower() in ("e.g", "i.e", "p.ex", "z.b", "d.h", "u.s"):
+        return token.lower() != "u.s"
+    return bool(token.isdigit() and ORDINAL.search(before))
+
+
+def ends_in(text: str, begin: int, end: int, heading: bool = False):
+    while end > begin and (text[end - 1].isspace() or INVISIBLE.match(text[end - 1])):
+        end -= 1
+    while begin < end and (text[begin].isspace() or INVISIBLE.match(text[begin])):
+        begin += 1
+    if begin == end:
+        return
+    if heading:
+        yield end
+        return
+    stack: list[tuple[str, int]] = []  # what closes it, and where it opened
+    start, i = begin, begin
+    while i < end:
+        c = text[i]
+        if stack and c in stack[-1][0]:
+            opened = stack.pop()[1]
+            j, k = i + 1, i - 1
+            while j < end and text[j] in CLOSERS and not (stack and text[j] in stack[-1][0]) and text[j] not in '"“':
+                j += 1
+            while k > opened and (INVISIBLE.match(text[k]) or text[k] in CLOSERS):
+                k -= 1
+            if not stack and text[k] in SOFT + STRONG + WIDE and opened <= start + 1 and j < end:
+                nxt = j
+                while nxt < end and (text[nxt].isspace() or INVISIBLE.match(text[nxt])):
+                    nxt += 1
+                wide = CJK.match(text[nxt]) and text[nxt] not in "とっはがをのにで然" if nxt < end else True
+                if nxt > j and not goes_on(text, k, nxt, "?", end) and text[nxt] not in ",;:，、" or nxt == j and wide and text[k] in STRONG:
+                    yield j
+                    start = i = nxt
+                    continue
+            i += 1
+            continue
+        if c in PAIRS and any(x in text[i + 1 : end] for x in PAIRS[c]):
+            stack.append((PAIRS[c], i))
+        elif c == '"' and '"' in text[i + 1 : end]:
+            stack.append(('"', i))
+        elif not stack and c in SOFT + STRONG + WIDE:
+            j = i
+            while j < end and (text[j] in SOFT + STRONG + WIDE or INVISIBLE.match(text[j])):
+                j += 1
+            while INVISIBLE.match(text[j - 1]):
+                j -= 1
+            marks = text[i:j]
+            while j < end and text[j] in CLOSERS and text[j] not in '"“':
+                j += 1
+            nxt = j
+            while nxt < end and (text[nxt].isspace() or INVISIBLE.match(text[nxt])):
+                nxt += 1
+            spaced = any(x.isspace() for x in text[j:nxt])
+            if nxt >= end:
+                break
+            strong = any(x in STRONG + WIDE for x in marks) or marks[0] in "…!?؟" and bool(CJK.match(text[nxt])) or len(marks) > 1 and marks[0] == "…" and not spaced
+            if strong and text[nxt] not in "，、,)" or spaced and not goes_on(text, i, nxt, "." if marks == "." else "!", end):
+                yield j
+                start = i = nxt
+                continue
+            i = max(j, i + 1)
+            continue
+        elif not stack and c in "  \t" and THAI.match(text[i - 1]):
+            nxt = i
+            while nxt < end and (text[nxt] in "  \t" or INVISIBLE.match(text[nxt])):
+                nxt += 1
+            if nxt < end and THAI.match(text[nxt]):
+                yield i
+                start = i = nxt
+                continue
+        i += 1
+    yield end
+
+
+def sentence_ends(text: str | None) -> list[int]:
+    return [e for a, b, heading in units(text or "") for e in ends_in(text, a, b, heading)]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.udf(sentence_ends, "array<bigint>", useArrow=True)
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(ends("text")).alias("sent_end"))

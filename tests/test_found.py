@@ -1,0 +1,92 @@
+"""Small cases of each query; before, queries() was empty."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parents[1]))
+import __spark_entry__ as entry  # noqa: E402
+from curation import bpe, cut, leak, markup, names, neardup, nested, sents  # noqa: E402
+
+
+def test_all_ten_are_registered():
+    assert list(entry.queries()) == [*(f"p{n}_found" for n in range(1, 8)), "p8_ids", "p9_found", "p10_found"]
+
+
+def test_p1_paths():
+    got = nested.raw_paths('{"extraction": "{\\"benchmarks\\": [null, {\\"results\\": {\\"value\\": 1}}]}", "grounding_flags": "one"}')
+    assert got == ["benchmarks[1]", "benchmarks[1].results[0]", "grounding_flags[0]"]
+    assert nested.raw_paths("[]") == nested.raw_paths("{'id': 1}") == nested.raw_paths(None) == []
+
+
+@pytest.mark.parametrize("text, is_cut", [
+    ('{"a": ["b", "c', True), ('{"a": 1} No limitation is state', True), ("```json\n{}\n", True), ("The run masks all labels of the set and ne", True),
+    ("Unable to comply", False), ('{"a": "b",}', False), ('{"a": "b"} It ends.', False), ("x: 1\ny: 2\nend of record", False),
+])
+def test_p2_cut(text, is_cut):
+    assert cut.cut(text) is is_cut
+
+
+@pytest.mark.parametrize("text, has", [
+    ("<jats:p>We</jats:p>", True), ("R &amp; D", True), ("the **best**", True), ("[[link]]", True), ("$O(n \\log n)$", True), ("\\textsc{B}", True),
+    ("R&D for C# and A* at p < 0.05 and $5 to $10, max_len 3", False),
+])
+def test_p3_markup(text, has):
+    assert markup.marked(text) is has
+
+
+METRICS = [
+    {"ref_id": 201, "canonical": "accuracy", "aliases": ["acc"]}, {"ref_id": 203, "canonical": "macro F1", "aliases": []}, {"ref_id": 204, "canonical": "micro F1", "aliases": []},
+    {"ref_id": 207, "canonical": "pass@1", "aliases": []}, {"ref_id": 208, "canonical": "pass@10", "aliases": []},
+]
+
+
+@pytest.mark.parametrize("args, other", [
+    (("score", "%", "accuracy", 0.5, None, None), True), (("score", "%", "accuracy", 0.5, None, "%"), False), (("score", "%", "accuracy (%)", 0.5, None, "fraction"), False),
+    (("latency", "ms", "latency", None, "668:24 (m:s)", None), True), (("latency", "ms", "latency (s)", None, "12 ms", None), False), (("size", "million parameters", "model size", None, "OOM", "billion parameters"), False),
+])
+def test_p4_units(args, other):
+    assert names.restated(*args) is other
+
+
+def test_p5_agrees_in_any_order_but_not_on_a_title():
+    a = "We mask labels in seven museums and count the errors. The second run needs no teacher at all."
+    b = "<p>The second run needs no teacher at all. We mask labels in seven museums and count the errors.</p>"
+    assert neardup.agree(neardup.of_user(f"Title: T\nAbstract: {a}"), neardup.plain(b))
+    assert not neardup.agree(neardup.plain(a), neardup.plain("We mask labels. Nothing else in this long other text has to do with it, by any count."))
+
+
+@pytest.mark.parametrize("text, ref", [("ACC.", 201), ("accruacy (%)", 201), ("mаcro F1", 203), ("pass @ 10", 208), ("pass@5", 0), ("vibes", 0)])
+def test_p6_entries(text, ref):
+    assert names.Register(METRICS).find(text) == ref
+
+
+def test_p8_ids():
+    assert bpe.encode(None) == bpe.encode("") == []
+    assert len(bpe.encode("a <|endoftext|>")) > 2
+
+
+def test_p9_altered_sentence_and_run():
+    items = leak.Items([(1, "Choose one. A tall weaver counts 12 red kites in the old mill."), (2, "Choose one. Ten brass hooks break before the spring fair, so Bel owes us coins.")])
+    assert items.held("Then a tall weaver just counts 12 red\nkites in the old mill.") == [1]
+    assert items.held("Choose one. A tall weaver counts 12 blue hats, ten brass hooks break.") == []
+
+
+@pytest.mark.parametrize("text, ends", [
+    ("See Fig. 2 of Dr. A. Be. It failed! ", [24, 35]), ('He wrote, "Why not? It is easy." and left. So what?', [42, 51]), ("## 1. Setup\n- one\n- two", [11, 17, 23]),
+    ("标签太慢。它“好。”然后结束。", [5, 15]), ("กข คง", [2, 5]), (" \n", []),
+])
+def test_p10_ends(text, ends):
+    assert sents.sentence_ends(text) == ends
+
+
+def test_p7_and_its_sql_agree():
+    duckdb = pytest.importorskip("duckdb")
+    from pyspark.sql import SparkSession
+
+    spark, d = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate(), "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("papers_pool", "target_shares"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    assert sorted(map(tuple, entry.queries()["p7_found"](spark, d).collect())) == sorted(con.execute(entry.oracle_sql()["p7_found"]).fetchall())
