@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import calibrate, canonical, encode, overlap
+from millrace.llm import calibrate, canonical, encode, leakage, markup, overlap, truncation
 
 QUERIES: dict = {
+    "p2_found": (truncation.p2_found, None),
+    "p2_scores": (truncation.p2_scores, None),
+    "p2_report": (truncation.p2_report, None),
+    "p3_found": (markup.p3_found, None),
+    "p3_clean": (markup.p3_clean, None),
+    "p3_report": (markup.p3_report, None),
     "p5_found": (overlap.p5_found, None),
     "p5_pairs": (overlap.p5_pairs, None),
     "p5_report": (overlap.p5_report, None),
@@ -14,4 +20,6 @@ QUERIES: dict = {
     "p7_report": (calibrate.p7_report, None),
     "p7_sample": (calibrate.p7_sample, None),
     "p8_ids": (encode.p8_ids, None),
+    "p9_found": (leakage.p9_found, None),
+    "p9_items": (leakage.p9_items, None),
 }
