@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import calibrate, canonical, encode, leakage, markup, overlap, truncation
+from millrace.llm import calibrate, canonical, encode, leakage, markup, overlap, sentences, truncation
 
 QUERIES: dict = {
     "p2_found": (truncation.p2_found, None),
@@ -22,4 +22,6 @@ QUERIES: dict = {
     "p8_ids": (encode.p8_ids, None),
     "p9_found": (leakage.p9_found, None),
     "p9_items": (leakage.p9_items, None),
+    "p10_found": (sentences.p10_found, None),
+    "p10_counts": (sentences.p10_counts, None),
 }
