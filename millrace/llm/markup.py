@@ -335,4 +335,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, texts with markup and deleted template subtrees by host and field."""
-    return p3_clean(spark, sf_dir).groupBy("host", "field").agg(F.count("*").alias("n_texts"), F.count_if("n_elements > 0").alias("n_marked"), F.sum("n_removed").alias("n_removed"))
+    return p3_clean(spark, sf_dir).groupBy("host", "field").agg(F.count("*").alias("n_texts"), F.count_if(F.col("n_elements") > 0).alias("n_marked"), F.sum("n_removed").alias("n_removed"))

@@ -255,5 +255,5 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and cut rows of each source."""
-    got = p2_scores(spark, sf_dir).groupBy("tab", "source").agg(F.count("*").alias("n_rows"), F.count_if("score > 0.5").alias("n_cut"))
+    got = p2_scores(spark, sf_dir).groupBy("tab", "source").agg(F.count("*").alias("n_rows"), F.count_if(F.col("score") > 0.5).alias("n_cut"))
     return got.withColumn("share_cut", F.col("n_cut") / F.col("n_rows"))
