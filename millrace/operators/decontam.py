@@ -1,7 +1,8 @@
 """Word n-grams of training texts that occur in held-out texts.
 
-The held-out grams are the small side: Spark broadcasts them if their size allows and shuffles by gram if not; grams
-are made distinct per text before the join, so a text meets a gram once. Texts without tokens have no grams, shorter
+Grams are compared by two 64-bit hashes, distinct per text, so a text meets a gram once and thirteen-word strings never
+leave their task. The held-out grams are counted first: up to BROADCAST_ROWS of them are broadcast and the training
+side is not shuffled at all; beyond that both sides are shuffled by hash. Texts without tokens have no grams, shorter
 ones than n words one gram of all their words; null ids keep their texts apart.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.base import spread, table
+from millrace.base import BROADCAST_ROWS, spread, table
 from millrace.functions.columns import ngrams, tokens
 from millrace.operators.curate import user_text
 
@@ -18,15 +19,17 @@ N, GATE = 13, 0.02
 
 
 def grams(df: DataFrame, key: str, text: Column, n: int = N) -> DataFrame:
-    """(key, gram) for each different gram of each text."""
+    """(key, a, b): the hashes of each different gram of each text."""
     words = df.select(key, tokens(text).alias("w"))
-    return words.select(key, F.explode(ngrams(F.col("w"), n)).alias("gram"))
+    hashed = F.transform(ngrams(F.col("w"), n), lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(g, F.lit(1)).alias("b")))
+    return words.select(key, F.explode(hashed).alias("g")).select(key, "g.a", "g.b")
 
 
-def contaminated(train: DataFrame, against: DataFrame) -> DataFrame:
+def contaminated(train: DataFrame, against: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """(train_id, against_id, n_shared) of each training text that shares grams; against_id is the least that has one."""
-    known = against.groupBy("gram").agg(F.min("against_id").alias("against_id"))
-    return train.join(known, "gram").groupBy("train_id").agg(F.min("against_id").alias("against_id"), F.count("*").alias("n_shared"))
+    known = against.groupBy("a", "b").agg(F.min("against_id").alias("against_id"))
+    small = known.limit(most + 1).count() <= most
+    return train.join(F.broadcast(known) if small else known, ["a", "b"]).groupBy("train_id").agg(F.min("against_id").alias("against_id"), F.count("*").alias("n_shared"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,8 +186,9 @@ def test_decontamination(spark):
     line = " ".join(f"w{i}" for i in range(14))
     train = spark.createDataFrame([(1, line + " x y"), (2, "other words entirely"), (3, "short"), (4, None)], "k int, t string")
     against = spark.createDataFrame([(7, line + " q"), (6, "short")], "k int, t string")
-    got = decontam.contaminated(decontam.grams(train, "k", F.col("t")).withColumnRenamed("k", "train_id"), decontam.grams(against, "k", F.col("t")).withColumnRenamed("k", "against_id"))
-    assert sorted(map(tuple, got.collect())) == [(1, 7, 2), (3, 6, 1)]
+    a, b = (decontam.grams(df, "k", F.col("t")).withColumnRenamed("k", name) for df, name in ((train, "train_id"), (against, "against_id")))
+    for most in (1000, 1):  # the held-out side broadcast, and shuffled
+        assert sorted(map(tuple, decontam.contaminated(a, b, most).collect())) == [(1, 7, 2), (3, 6, 1)]
 
 
 def test_retrieval(spark, tmp_path):
