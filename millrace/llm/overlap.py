@@ -7,23 +7,28 @@ words, give its overlap fraction. A chunk that occurs in training weighs its wor
 training texts that hold it (and PRIOR more), so boilerplate weighs little and chunks that an edit made weigh nothing; the pairs that
 share BAR of an evaluation text's weight are then compared word by word. To share that much a pair must share one
 of the rarest chunks that hold all but that part of the weight, so only these are looked up: exact, with no cap on
-any chunk, yet boilerplate is looked up only by texts that have little else. Null, empty and very short texts (under LEAST words) have no pairs; repeated records come out each.
+any chunk, yet boilerplate is looked up only by texts that have little else. Pairs grow faster than the tables, so
+they are made and sifted where the training texts are read, against an index of the evaluation texts, and only those whose word
+sketches allow AGREE leave the task. Null, empty and very short texts (under LEAST words) have no pairs; repeated records come out each.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import tempfile
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.base import spread, table
+from millrace.base import checkpointed, spread, table
 from millrace.functions.words import words
 
 #: Cut after one in DIVISOR word pairs, and after LONG words in any case; no least length, so that cuts depend on the words around them only.
@@ -32,6 +37,8 @@ DIVISOR, LONG = 4, 32
 BAR, AGREE, LEAST = 0.18, 0.7, 8
 #: Training texts added to those that hold a chunk, so that a chance find of one text does not outweigh the rest.
 PRIOR = 10
+#: Bits of a text's word sketch; evaluation texts in one index, the others wait on disk; pairs made at a time.
+BITS, BLOCK, AT_ONCE = 512, 400_000, 500_000
 ABSTRACT = re.compile(r"abstract\W{0,4}[:\-–—\n]\s*", re.I)
 MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|\{\{.*?\}\}|https?://\S+|\\[a-zA-Z]+", re.S)
 
@@ -56,54 +63,201 @@ def chunks(w: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-RECORDS = "rec_id bigint, text_id string, n_words int, words string, digests array<bigint>, sizes array<int>"
+def sketch(w: list[str]) -> bytes:
+    """BITS bits: one for each word and the number of its occurrence, so a bit that another text lacks is a word that it lacks."""
+    seen: dict[str, int] = {}
+    on = bytearray(BITS)
+    for x in w:
+        seen[x] = n = seen.get(x, 0) + 1
+        on[xxhash.xxh32_intdigest(x, n) % BITS] = 1
+    return np.packbits(np.frombuffer(on, np.uint8)).tobytes()
 
 
-def records(df: DataFrame, key: Column, text: Column, read) -> DataFrame:
-    """RECORDS of the texts with LEAST words or more; text_id is a digest of the normalised words."""
+RECORDS = "rec_id bigint, text_id binary, n_words int, words string, digests array<bigint>, sizes array<int>, sketch binary"
+
+
+def records(df: DataFrame, key: Column, text: Column, read, only: bytes | None = None) -> DataFrame:
+    """RECORDS of the texts with LEAST words or more; text_id is a digest of the normalised words. only: a bitmap() of the wanted text_ids; then without chunks and sketch."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             rows = []
             for k, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(w := read(content)) >= LEAST:
-                    sizes: dict[int, int] = {}
-                    for d, n in chunks(w):
-                        sizes[d] = sizes.get(d, 0) + n
-                    joined = " ".join(w)
-                    rows.append((k, xxhash.xxh3_128_hexdigest(joined), len(w), joined, list(sizes), list(sizes.values())))
-            columns = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["rec_id", "text_id", "n_words", "words", "digests", "sizes"])
+                    joined, sizes = " ".join(w), {}
+                    text_id = xxhash.xxh3_128_digest(joined)
+                    if only is None:
+                        for d, n in chunks(w):
+                            sizes[d] = sizes.get(d, 0) + n
+                    elif not only[text_id[0] << 13 | text_id[1] << 5 | text_id[2] >> 3] >> (text_id[2] & 7) & 1:
+                        continue
+                    rows.append((k, text_id, len(w), joined, list(sizes), list(sizes.values()), b"" if only else sketch(w)))
+            columns = list(zip(*rows)) or [()] * 7
+            names = ["rec_id", "text_id", "n_words", "words", "digests", "sizes", "sketch"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     got = df.select(key.cast("bigint").alias("rec_id"), text.alias("text")).where("text IS NOT NULL")
     return spread(got, "rec_id").mapInArrow(walk, RECORDS)
 
 
-def classes(found: DataFrame) -> DataFrame:
-    """One row per text, whatever the number of its copies (combined map-side); klass is its least record."""
-    return found.groupBy("text_id").agg(F.min("rec_id").alias("klass"), *(F.first(c).alias(c) for c in ("n_words", "words", "digests", "sizes")))
+def bitmap(ids: DataFrame) -> bytes:
+    """2 MB, whatever the number of ids: the bits at the first 24 bits of each text_id. Others share a bit now and then, so a join still decides."""
+    at = ids.select((F.conv(F.hex(F.substring("text_id", 1, 3)), 16, 10).cast("bigint") + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = bytearray(1 << 21)
+    for r in parts:
+        out[(r["bucket"] - 1) * len(r["bits"]) : r["bucket"] * len(r["bits"])] = r["bits"]
+    return bytes(out)
+
+
+def classes(found: DataFrame, *columns: str) -> DataFrame:
+    """One row per text, whatever the number of its copies (combined map-side)."""
+    return found.groupBy("text_id").agg(*(F.first(c).alias(c) for c in columns))
+
+
+def each(df: DataFrame, f, schema: str) -> DataFrame:
+    """f of each Arrow batch. As it takes all columns of df, its uses share one shuffle, which column pruning would make several of."""
+    return df.mapInArrow(lambda batches: map(f, batches), schema)
+
+
+def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    digest, n = np.unique(batch.column("digests").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array(n, pa.int64())], names=["digest", "df"])
+
+
+def keys(batch: pa.RecordBatch) -> pa.Array:
+    """Eight bytes of each text_id: these tell the evaluation texts apart, and the rows of their chunks stay short."""
+    return pa.array(np.frombuffer(b"".join(batch.column("text_id").to_pylist()), np.int64)[::2])
+
+
+def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    at, digests = pc.list_parent_indices(batch.column("digests")), batch.column("digests").flatten()
+    return pa.RecordBatch.from_arrays([keys(batch).take(at), digests, batch.column("sizes").flatten()], names=["e", "digest", "size"])
+
+
+def facts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([keys(batch), *(batch.column(c) for c in ("text_id", "n_words", "sketch"))], names=["e", "text_id", "n_words", "sketch"])
+
+
+class Index:
+    """Evaluation texts by the chunks that they look up."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        self.ids, self.n = rows["e"].combine_chunks(), rows["n_words"].to_numpy()
+        self.bits = bits(rows["sketch"])
+        self.on = ones(self.bits)
+        lists = rows["digests"].combine_chunks()
+        digests, texts = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int32)
+        order = np.argsort(digests, kind="stable")
+        self.texts = texts[order]
+        self.digests, self.starts = np.unique(digests[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(order)))
+
+    def find(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Pairs with the training texts of a batch that share a looked-up chunk and whose sketches allow AGREE."""
+        lists, n, own = part.column("digests"), part.column("n_words").to_numpy(zero_copy_only=False), bits(part.column("sketch"))
+        digests, rows = lists.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        on = ones(own)
+        if not len(self.digests):
+            return
+        at = np.minimum(np.searchsorted(self.digests, digests), len(self.digests) - 1)
+        hit = self.digests[at] == digests
+        at, rows = at[hit], rows[hit]
+        upto, begin, found = np.cumsum(self.counts[at]), 0, [np.empty((2, 0), np.int64)]
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + AT_ONCE, "right")))
+            counts = self.counts[at[begin:end]]
+            first = np.cumsum(counts) - counts
+            e = self.texts[np.arange(counts.sum()) + np.repeat(self.starts[at[begin:end]] - first, counts)]
+            t = np.repeat(rows[begin:end], counts)
+            begin = end
+            least = AGREE * np.maximum(self.n[e], n[t]) - 1e-6
+            near = np.minimum(self.n[e], n[t]) >= least
+            e, t, least = e[near], t[near], least[near]
+            both = ones(self.bits[e] & own[t])
+            may = (self.on[e] - both <= self.n[e] - least) & (on[t] - both <= n[t] - least)
+            found.append(np.stack([t[may], e[may]]))
+        t, e = np.unique(np.concatenate(found, axis=1), axis=1)  # once here is once in all: a training text is in one batch
+        for i in range(0, len(t), AT_ONCE // 50):
+            x, y = pa.array(e[i : i + AT_ONCE // 50]), pa.array(t[i : i + AT_ONCE // 50])
+            yield pa.RecordBatch.from_arrays([self.ids.take(x), part.column("text_id").take(y), lists.take(y)], names=["e", "t", "theirs"])
+
+
+def bits(sketches) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def ones(rows: np.ndarray) -> np.ndarray:
+    """Set bits of each row: counts by word, which fit a byte, are added within one integer."""
+    low = np.uint64(0x00FF00FF00FF00FF)
+    n = np.bitwise_count(rows).view(np.uint64)[:, 0]
+    n = (n & low) + (n >> np.uint64(8) & low)
+    return (n * np.uint64(0x0001000100010001) >> np.uint64(48)).astype(np.int64)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (e, t, chunks of t) of a partition, whose evaluation texts come first; those beyond BLOCK wait in a file, and so do the training texts then."""
+    first: list[pa.RecordBatch] = []
+    index, files = None, {}
+    with tempfile.TemporaryDirectory(prefix="millrace-") as folder:
+
+        def wait(name: str, part: pa.RecordBatch) -> None:
+            if name not in files:
+                files[name] = pa.ipc.new_stream(f"{folder}/{name}", part.schema)
+            files[name].write_batch(part)
+
+        for batch in batches:
+            e, t = (batch.filter(pc.equal(batch.column("training"), side)) for side in (False, True))
+            if e.num_rows and sum(x.num_rows for x in first) < BLOCK:
+                first.append(e)
+            elif e.num_rows:
+                wait("e", e)
+            if t.num_rows and first:
+                index = index or Index(first)
+                yield from index.find(t)
+                if "e" in files:
+                    wait("t", t)
+        for f in files.values():
+            f.close()
+        if "t" in files:
+            block: list[pa.RecordBatch] = []
+            with pa.ipc.open_stream(f"{folder}/e") as rest:
+                for part in rest:
+                    block.append(part)
+                    if sum(x.num_rows for x in block) >= BLOCK:
+                        yield from again(Index(block), f"{folder}/t")
+                        block = []
+            if block:
+                yield from again(Index(block), f"{folder}/t")
+
+
+def again(index: Index, path: str) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(path) as parts:
+        for part in parts:
+            yield from index.find(part)
 
 
 def overlapping(e: DataFrame, t: DataFrame, bar: float = BAR) -> DataFrame:
-    """(e, t, fraction) of the class pairs that share `bar` of the weight; fraction: words of shared chunks over those of the text."""
-    te = t.select(F.col("klass").alias("t"), F.col("n_words").alias("t_words"), F.explode("digests").alias("digest"))
-    often = te.groupBy("digest").agg(F.count("*").alias("df"))
-    ee = e.select(F.col("klass").alias("e"), F.col("n_words").alias("e_words"), F.explode(F.arrays_zip("digests", "sizes")).alias("c"))
-    known = ee.select("e", "e_words", F.col("c.digests").alias("digest"), F.col("c.sizes").alias("size")).join(often, "digest")
-    known = known.withColumn("weight", F.col("size") / F.sqrt(F.col("df") + PRIOR))
-    whole = Window.partitionBy("e")
-    rarest = whole.orderBy("df", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = known.withColumn("before", F.coalesce(F.sum("weight").over(rarest), F.lit(0.0))).withColumn("total", F.sum("weight").over(whole))
-    looked_up = ranked.where(F.col("before") <= (1 - bar) * F.col("total") * (1 + 1e-9)).select("e", "e_words", "digest")
-    near = (F.col("e_words") >= AGREE * F.col("t_words")) & (F.col("t_words") >= AGREE * F.col("e_words"))
-    pairs = looked_up.join(te, "digest").where(near).select("e", "t").distinct()
-    own = known.groupBy("e", "e_words").agg(F.collect_list(F.struct("digest", "size", "weight")).alias("own"), F.sum("weight").alias("total"))
-    pairs = pairs.join(own, "e").join(t.select(F.col("klass").alias("t"), F.col("digests").alias("theirs")), "t")
+    """(e, t, fraction) of the classes that share `bar` of the weight and may agree; fraction: words of shared chunks over those of the text."""
+    often = each(t, counted, "digest bigint, df bigint").groupBy("digest").agg(F.sum("df").alias("df"))
+    known = each(e, listed, "e bigint, digest bigint, size int").join(often, "digest")
+    own = known.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("df", "digest", "size"))).alias("own"))  # rarest first
+    own = own.join(each(e, facts, "e bigint, text_id binary, n_words int, sketch binary"), "e")
+    weight = lambda c: c["size"] / F.sqrt(c["df"] + PRIOR)
+    total = lambda cs: F.aggregate(cs, F.lit(0.0), lambda n, c: n + weight(c))
+    step = lambda s, c: F.struct((s["before"] + weight(c)).alias("before"), (s["n"] + (s["before"] <= s["most"]).cast("int")).alias("n"), s["most"].alias("most"))
+    begin = F.struct(F.lit(0.0).alias("before"), F.lit(0).alias("n"), ((1 - bar) * F.col("total") * (1 + 1e-9)).alias("most"))
+    own = own.withColumn("total", total("own")).withColumn("looked_up", F.aggregate("own", begin, step)["n"])
+    slices = e.sparkSession.sparkContext.defaultParallelism
+    ee = own.select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(False).alias("training"), "e", F.lit(None).cast("binary").alias("text_id"), "n_words", F.transform(F.slice("own", 1, F.col("looked_up")), lambda c: c["digest"]).alias("digests"), "sketch")
+    tt = t.select(F.pmod(F.xxhash64("text_id"), F.lit(slices)).cast("int").alias("slice"), F.lit(True).alias("training"), F.lit(None).cast("bigint").alias("e"), "text_id", "n_words", "digests", "sketch")
+    both = ee.unionByName(tt).repartitionById(slices, F.col("slice")).sortWithinPartitions("training")
+    pairs = both.mapInArrow(met, "e bigint, t binary, theirs array<bigint>").join(own.select("e", "text_id", "own", "total", "n_words"), "e")
     pairs = pairs.withColumn("both", F.filter("own", lambda c: F.array_contains("theirs", c["digest"])))
-    weight = F.aggregate("both", F.lit(0.0), lambda n, c: n + c["weight"])
     words_shared = F.aggregate("both", F.lit(0), lambda n, c: n + c["size"])
-    return pairs.where(weight >= bar * F.col("total")).select("e", "t", (words_shared / F.col("e_words")).alias("fraction"))
+    return pairs.where(total("both") >= bar * F.col("total")).select(F.col("text_id").alias("e"), "t", (words_shared / F.col("n_words")).alias("fraction"))
 
 
 def agree(a: str, b: str) -> float:
@@ -112,27 +266,29 @@ def agree(a: str, b: str) -> float:
     return sum((Counter(x) & Counter(y)).values()) / max(len(x), len(y), 1)
 
 
-def evaluation_records(holdout: DataFrame) -> DataFrame:
+def evaluation_records(holdout: DataFrame, only: bytes | None = None) -> DataFrame:
     """The last user message that is not blank, read from its abstract on."""
     user = F.filter("messages", lambda m: (F.lower(F.trim(m["role"])) == "user") & m["content"].rlike("\\S"))
-    return records(holdout, F.col("rec_id"), F.try_element_at(user, F.lit(-1))["content"], message)
+    return records(holdout, F.col("rec_id"), F.try_element_at(user, F.lit(-1))["content"], message, only)
 
 
-def training_records(distilled: DataFrame) -> DataFrame:
-    return records(distilled, F.col("rec_id"), F.col("abstract"), plain)
+def training_records(distilled: DataFrame, only: bytes | None = None) -> DataFrame:
+    return records(distilled, F.col("rec_id"), F.col("abstract"), plain, only)
 
 
 def compared(holdout: DataFrame, distilled: DataFrame) -> DataFrame:
     """(e_id, t_id, fraction, agreement) of all record pairs with the same paper text."""
-    e_all, t_all = evaluation_records(holdout), training_records(distilled)
-    e, t = classes(e_all), classes(t_all)
+    e, t = evaluation_records(holdout), training_records(distilled)
+    pairs = found = checkpointed(overlapping(classes(e, "n_words", "digests", "sizes", "sketch"), classes(t, "n_words", "digests", "sketch")))
+    for side, df, read in (("e", holdout, evaluation_records), ("t", distilled, training_records)):
+        ids = found.select(F.col(side).alias("text_id"))
+        members = read(df, bitmap(ids)).join(ids.distinct(), "text_id")  # words are read again for these texts only, not kept for all
+        texts = members.groupBy("text_id").agg(F.first("words").alias(f"{side}_text"), F.collect_list("rec_id").alias(f"{side}_ids"))
+        pairs = pairs.join(texts.withColumnRenamed("text_id", side), side)
     same = F.udf(agree, "double", useArrow=True)
-    pairs = overlapping(e, t).join(e.select(F.col("klass").alias("e"), F.col("words").alias("e_text")), "e").join(t.select(F.col("klass").alias("t"), F.col("words").alias("t_text")), "t")
-    pairs = pairs.select("e", "t", "fraction", same("e_text", "t_text").alias("agreement")).where(F.col("agreement") >= AGREE)
-    for side, found, own in (("e", e_all, e), ("t", t_all, t)):
-        members = found.select("text_id", F.col("rec_id").alias(f"{side}_id")).join(own.select("text_id", F.col("klass").alias(side)), "text_id")
-        pairs = pairs.join(members.drop("text_id"), side)
-    return pairs.select("e_id", "t_id", "fraction", "agreement")
+    pairs = pairs.withColumn("agreement", same("e_text", "t_text")).where(F.col("agreement") >= AGREE)
+    pairs = pairs.select(F.explode("e_ids").alias("e_id"), "t_ids", "fraction", "agreement")
+    return pairs.select("e_id", F.explode("t_ids").alias("t_id"), "fraction", "agreement")
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
