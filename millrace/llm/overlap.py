@@ -9,7 +9,7 @@ share BAR of an evaluation text's weight are then compared word by word. To shar
 of the rarest chunks that hold all but that part of the weight, so only these are looked up: exact, with no cap on
 any chunk, yet boilerplate is looked up only by texts that have little else. Pairs grow faster than the tables, so
 they are made and sifted where the training texts are read, against an index of the evaluation texts, and only those whose word
-sketches allow AGREE leave the task. Null, empty and very short texts (under LEAST words) have no pairs; repeated records come out each.
+sketches allow AGREE leave the task. Null texts and texts without a word have no pairs; repeated records come out each.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from millrace.functions.words import words
 
 #: Cut after one in DIVISOR word pairs, and after LONG words in any case; no least length, so that cuts depend on the words around them only.
 DIVISOR, LONG = 4, 32
-#: Share of the weight from which a pair is compared; share of the longer text's words that must agree; words of the shortest text.
-BAR, AGREE, LEAST = 0.18, 0.7, 8
+#: Share of the weight from which a pair is compared; share of the longer text's words that must agree.
+BAR, AGREE = 0.18, 0.7
 #: Training texts added to those that hold a chunk, so that a chance find of one text does not outweigh the rest.
 PRIOR = 10
 #: Bits of a text's word sketch; evaluation texts in one index, the others wait on disk; pairs made at a time.
@@ -77,14 +77,14 @@ RECORDS = "rec_id bigint, text_id binary, n_words int, words string, digests arr
 
 
 def records(df: DataFrame, key: Column, text: Column, read, only: bytes | None = None) -> DataFrame:
-    """RECORDS of the texts with LEAST words or more; text_id is a digest of the normalised words. only: a bitmap() of the wanted text_ids; then without chunks and sketch."""
+    """RECORDS of the texts that have a word; text_id is a digest of the normalised words. only: a bitmap() of the wanted text_ids; then without chunks and sketch."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.binary(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
         for batch in batches:
             rows = []
             for k, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(w := read(content)) >= LEAST:
+                if w := read(content):
                     joined, sizes = " ".join(w), {}
                     text_id = xxhash.xxh3_128_digest(joined)
                     if only is None:

@@ -40,3 +40,13 @@ def test_p5_blocks_find_what_one_index_finds(monkeypatch):
     monkeypatch.setattr(overlap, "BLOCK", 20)
     monkeypatch.setattr(overlap, "AT_ONCE", 50)
     assert len(agreeing) >= 40 and agreeing <= set(one) and len(one) == len(set(one)) and pairs() == one
+
+
+def test_p5_short_texts_are_read_too(spark):
+    texts = ["Withdrawn.", "see the journal version", "we count seven masks in nine runs", "研究方法。结果很好。", "we count <b>seven</b> masks in two long runs"]
+    blank = [None, "", "  ", "--- !", "<b></b>"]
+    t = [(i, x) for i, x in enumerate(texts + blank)] + [(50, "withdrawn")]
+    e = [(100 + i, None if x is None else [{"role": "user", "content": "Title: a\nAbstract: " + x}]) for i, x in enumerate(texts[:4] + blank)]
+    got = overlap.compared(spark.createDataFrame(e, "rec_id bigint, messages array<struct<role:string,content:string>>"), spark.createDataFrame(t, "rec_id bigint, abstract string"))
+    assert {(r["e_id"], r["t_id"]) for r in got.collect()} >= {(100, 0), (100, 50), (101, 1), (102, 2), (103, 3)}
+    assert all(r["e_id"] < 104 and r["agreement"] >= overlap.AGREE for r in got.collect())
